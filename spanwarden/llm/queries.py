@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanwarden.llm.language_id import language_id
 from spanwarden.llm.token_counts import token_counts
 from spanwarden.llm.token_output import token_output
+from spanwarden.llm.toxicity import toxicity
 from spanwarden.session import table
 
 
@@ -17,6 +19,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1)
 
@@ -25,8 +31,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), word_tokenizer(), limit=2048)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_output, op4_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op3_token_output, op4_token_counts, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
