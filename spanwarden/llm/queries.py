@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanwarden.llm.language_id import language_id
+from spanwarden.llm.license_scan import license_scan
+from spanwarden.llm.mixing import mix
+from spanwarden.llm.quality_rules import quality_rules
 from spanwarden.llm.token_counts import token_counts
 from spanwarden.llm.token_output import token_output
 from spanwarden.llm.toxicity import toxicity
+from spanwarden.llm.warc import deduplicated_archives
 from spanwarden.session import table
 
 
@@ -31,12 +35,29 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), word_tokenizer(), limit=2048)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated_archives(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_output, op4_token_counts, op7_toxicity)}
+    every = (op1_language_id, op3_token_output, op4_token_counts, op5_license_scan, op6_mixing, op7_toxicity, op8_warc, op10_quality_rules)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
