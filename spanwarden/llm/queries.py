@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanwarden.llm.language_id import language_id
 from spanwarden.llm.license_scan import license_scan
 from spanwarden.llm.mixing import mix
+from spanwarden.llm.near_dedup import near_dedup
 from spanwarden.llm.quality_rules import quality_rules
 from spanwarden.llm.token_counts import token_counts
 from spanwarden.llm.token_output import token_output
@@ -51,12 +52,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated_archives(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), k=2)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op3_token_output, op4_token_counts, op5_license_scan, op6_mixing, op7_toxicity, op8_warc, op10_quality_rules)
+    every = (op1_language_id, op3_token_output, op4_token_counts, op5_license_scan, op6_mixing, op7_toxicity, op8_warc, op9_near_dedup, op10_quality_rules)
     return {f.__name__: f for f in every}
 
 
