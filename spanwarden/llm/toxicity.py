@@ -236,3 +236,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
 
     scored = rows.mapInArrow(score, f"id {rows.schema[0].dataType.simpleString()}, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", per_class: int = 3000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``threshold``; all rows if nothing could be learned."""
+    model = fit_toxicity(docs, labels, id_col, text_col, per_class)
+    if model is None:
+        return docs
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.empty(b.num_rows)
+            for lo, hi, buf, offsets in chunks(b.column(place)):
+                out[lo:hi] = model.score(model.ratio(*hashed_words(buf, offsets)))
+            yield b.filter(pa.array(out < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
