@@ -8,6 +8,7 @@ each tokenizer (``PieceEncoder.mode``):
 
 * ``drop``: white space never reaches a token (words with an end mark). Pieces are
   what stands between runs of space, tab and newline.
+  A full stop or comma between an ASCII letter and white space is a piece of its own.
 * ``lead``: a space belongs to the word after it. A piece starts at each single
   space that stands between two ASCII letters.
 * ``mark``: sentencepiece puts a mark before each word; again single spaces between
@@ -29,7 +30,11 @@ DROP = re.compile(r"[ \t\n]+")
 #: Characters that one call to the library gets, and that one group of texts holds.
 CALL_CHARS, GROUP_CHARS = 1 << 18, 1 << 22
 #: Pieces kept by a worker.
-KEPT = 400_000
+KEPT = 1_000_000
+#: A place before a full stop or comma that ends a word of ASCII letters.
+TAIL = re.compile(r"(?<=[A-Za-z])(?=[.,](?:[ \n]|$))")
+#: Texts without these have the same lower case character by character, and no composition to undo.
+UNEVEN = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
 
 
 def grouped(items: list[str], most: int) -> Iterator[list[str]]:
@@ -47,12 +52,15 @@ def grouped(items: list[str], most: int) -> Iterator[list[str]]:
 
 class PieceEncoder:
     def __init__(self, path: str):
-        self.encode, self.vocab_size, self.mode = _load(path)
+        self.encode, self.vocab_size, self.mode, self.ends, self.lower = _load(path)
         self._ids: dict[str, bytes] = {}
         self._lengths: dict[str, int] = {}
 
     def split(self, text: str) -> list[str]:
         if self.mode == "drop":
+            if self.lower and not UNEVEN.search(text):
+                text = text.lower()
+            text = TAIL.sub(" ", text)
             return text.split() if text.isascii() and not _ODD.search(text) else DROP.split(text)
         if self.mode == "lead":
             return LEAD.split(text)
@@ -65,15 +73,32 @@ class PieceEncoder:
         if len(cache) + len(new) > KEPT:
             cache.clear()
             new = set().union(*split)
-        for group in grouped(sorted(new, key=len), CALL_CHARS):
-            cache.update(zip(group, map(of, self.encode(group))))
+        rest = sorted(new, key=len)
+        if self.ends is not None:
+            plain, other = [], []
+            for x in rest:
+                (plain if x.isalpha() and (x.isascii() or not UNEVEN.search(x)) else other).append(x)
+            rest = other
+            for group in grouped(plain, CALL_CHARS):
+                self._together(group, cache, of)
+        for group in grouped(rest, CALL_CHARS):
+            cache.update(zip(group, [of(np.array(x, "<u4").tobytes()) for x in self.encode(group)]))
+
+    def _together(self, group: list[str], cache: dict, of: Callable) -> None:
+        """Words of letters, encoded in one text: each is one run of tokens, closed by the only token with an end mark."""
+        ids = np.array(self.encode([" ".join(group)])[0], "<u4")
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(group):
+            raise ValueError("tokens with an end mark don't match the words")
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        cache.update(zip(group, [of(raw[a:z]) for a, z in zip([0, *at], at)]))
 
     def lengths(self, texts: list[str]) -> list[int]:
         """Numbers of ids of whole texts."""
         out: list[int] = []
         for group in grouped(texts, GROUP_CHARS):
             split = [self.split(t) for t in group]
-            self._known(split, self._lengths, len)
+            self._known(split, self._lengths, lambda x: len(x) >> 2)
             get = self._lengths.__getitem__
             out += [sum(map(get, x)) for x in split]
         return out
@@ -82,7 +107,7 @@ class PieceEncoder:
         """Ids of whole texts, unsigned 32-bit."""
         for group in grouped(texts, GROUP_CHARS):
             split = [self.split(t) for t in group]
-            self._known(split, self._ids, lambda x: np.array(x, "<u4").tobytes())
+            self._known(split, self._ids, lambda x: x)
             get = self._ids.__getitem__
             for x in split:
                 yield np.frombuffer(b"".join(map(get, x)), "<u4")
@@ -100,7 +125,8 @@ def encoder(path: str) -> PieceEncoder:
     return _LOADED[path]
 
 
-def _load(path: str) -> tuple[Callable[[list[str]], list], int, str]:
+def _load(path: str) -> tuple[Callable[[list[str]], list], int, str, np.ndarray | None, bool]:
+    """The encoding function, the vocabulary's size, the mode, which ids carry an end mark, and whether case is dropped."""
     if path.endswith(".model"):
         import sentencepiece
 
@@ -109,7 +135,7 @@ def _load(path: str) -> tuple[Callable[[list[str]], list], int, str]:
         inner = any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(size))
         probe = "ab cd the of house Xy"
         same = model.encode(probe) == [i for w in probe.split(" ") for i in model.encode(w)]
-        return (lambda x: model.encode(x, num_threads=1)), size, "mark" if same and not inner else "whole"
+        return (lambda x: model.encode(x, num_threads=1)), size, "mark" if same and not inner else "whole", None, False
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -120,7 +146,12 @@ def _load(path: str) -> tuple[Callable[[list[str]], list], int, str]:
     def encode(texts: list[str]) -> list[list[int]]:
         return [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return encode, model.get_vocab_size(), _mode(model, encode)
+    mode, size = _mode(model, encode), model.get_vocab_size()
+    suffix = getattr(model.model, "end_of_word_suffix", None) if mode == "drop" else None
+    if not suffix:
+        return encode, size, mode, None, False
+    ends = np.array([(model.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+    return encode, size, mode, ends, all(encode([x])[0] == encode([x.lower()])[0] for x in ("ABC", "Éa", "xÀ"))
 
 
 def _mode(model, encode: Callable) -> str:
