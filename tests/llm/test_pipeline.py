@@ -31,7 +31,6 @@ def test_stages_take_effect(spark):
     times = {r["doc_id"]: r["times"] for r in mix(outs[3]).collect()}
     assert ids[4] == sorted(i for i, n in times.items() for _ in range(n))
     assert ids[5] == ids[4]
-    assert sorted(map(tuple, cp.run(spark, SF).collect())) == sorted(map(tuple, outs[5].collect()))
 
 
 def test_odd_rows(spark, tmp_path):
