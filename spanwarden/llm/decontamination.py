@@ -73,13 +73,13 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, containment: flo
     shingles, and joined by shuffle otherwise.
     """
     words = lambda df, key: df.select(key, F.xxhash64(F.col(text_col)).alias("key"), words_of(F.col(text_col).cast("string")).alias("words"))
-    own = words(items.filter(F.col(text_col).isNotNull()), F.col(item_col).alias("item")).withColumn("hashes", F.array_distinct(shingle_hashes("words", k))).filter("hashes is not null")
-    own = stored(own.select("item", F.col("key").alias("item_key"), "hashes", shingle_texts("words", k).alias("shingles")).dropDuplicates(["item", "item_key"]), "benchmark-items")
+    own = words(items.filter(F.col(text_col).isNotNull()), F.col(item_col).alias("item")).filter(F.size("words") >= k)
+    own = stored(own.withColumn("hashes", F.array_distinct(shingle_hashes("words", k))).select("item", F.col("key").alias("item_key"), "hashes", shingle_texts("words", k).alias("shingles")).dropDuplicates(["item", "item_key"]), "benchmark-items")
     level = block_size(F.size("hashes"))
     index = stored(own.select("item", "item_key", level.alias("level"), F.explode("hashes").alias("h")).select("item", "item_key", "level", level_key(F.col("h"), F.col("level")).alias("value")).distinct(), "benchmark-index")
     levels = sorted(r["level"] for r in index.select("level").distinct().collect())
     rows = words(docs.filter(F.col(text_col).isNotNull()), F.col(id_col).alias("id"))
-    minima = rows.select("id", "key", shingle_hashes("words", k).alias("m0")).filter("m0 is not null")
+    minima = rows.select("id", "key", shingle_hashes("words", k).alias("m0"))
     last, size = "m0", 1
     for b in levels:
         step = b // size
@@ -88,7 +88,9 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, containment: flo
             last, size = f"m{b}", b
         minima = minima.withColumn(f"k{b}", level_keys(last, b))
     keys = F.array_distinct(F.concat(*[f"k{b}" for b in levels])) if levels else F.array().cast("array<bigint>")
-    probes = minima.select("id", "key", F.explode(keys).alias("value"))
+    # explode_outer: for explode, Spark infers a filter on the array, pushes it down to the text and there
+    # repeats the split for every word; rows without a value meet nothing in the join
+    probes = minima.select("id", "key", F.explode_outer(keys).alias("value"))
     found = stored(probes.join(bounded(index), "value").select("id", "key", "item", "item_key").distinct(), "benchmark-candidates")
     # candidates' texts: the ids go to every executor if they are few enough
     ids = stored(found.select(F.col("id").alias("c_id"), F.col("key").alias("c_key")).distinct(), "benchmark-documents")
