@@ -107,7 +107,7 @@ def set_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offsets in chunks(b.column(1)):
+            for lo, hi, buf, offsets in chunks(b.column(1), 1 << 19):
                 values, bounds = shingles(buf, offsets, k)
                 keys = band_keys(sketch(values, bounds, bands * rows), bands, rows)
                 digest = [row_sums(mix(values ^ np.uint64(x)), bounds).view(np.int64) for x in (0x1234567, 0x89ABCDEF)]
@@ -126,7 +126,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offsets in chunks(b.column(1)):
+            for lo, hi, buf, offsets in chunks(b.column(1), 1 << 19):
                 values, bounds = shingles(buf, offsets, k)
                 digest = [row_sums(mix(values ^ np.uint64(x)), bounds).view(np.int64) for x in (0x1234567, 0x89ABCDEF)]
                 raw, at = values.tobytes(), (8 * bounds).tolist()
@@ -179,10 +179,11 @@ def components(links: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
     """node, comp over the sets of ``reps`` (node, n, k1, k2, bands); None if nothing is linked."""
     close = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    member = reps.select("node", "n", F.explode("bands").alias("bucket"))
-    centre = F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("a"), F.col("n").alias("an")))
-    shared = member.groupBy("bucket").agg(centre.alias("c"), F.count("*").alias("m")).filter("m > 1").select("bucket", "c.a", "c.an")
-    buckets = stored(member.join(shared, "bucket"), "near-buckets")
+    member = reps.select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
+    order = F.xxhash64("node", "bucket")
+    shared = member.groupBy("bucket").agg(F.min_by("node", order).alias("a"), F.min_by("n", order).alias("an"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    # buckets with company are few: they are hashed, and the members streamed past them unsorted
+    buckets = stored(member.join(shared.hint("shuffle_hash"), "bucket"), "near-buckets")
     star = stored(buckets.filter((F.col("a") != F.col("node")) & close(F.col("n"), F.col("an"))).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "near-pairs")
     if not star.head(1):
         return None
@@ -195,7 +196,7 @@ def near_links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
     else:
         placed = buckets.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = stored(placed.select("bucket", "node", "n", "comp", "a"), "near-placed")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", F.col("node") == F.col("a")).alias("main")).filter("lo < hi").select("bucket", "main")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("node") == F.col("a"), F.col("comp"))).alias("main")).filter("lo < hi").select("bucket", "main")
     rest = stored(placed.join(mixed, "bucket"), "near-rest")
     minor = rest.filter("comp != main").select("bucket", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
     other = rest.select("bucket", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), (F.col("comp") != F.col("main")).alias("ym"), "a")
