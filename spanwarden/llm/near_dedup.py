@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from spanwarden.llm.textkernel import LOWER, chunks, mix, row_sums, word_hashes, words
 from spanwarden.session import stored
 
-#: Bands and bins of a band: at similarity 0.8 a pair shares no band with probability 3e-6.
-BANDS, ROWS = 32, 5
+#: Bands and bins of a band: at similarity 0.8 a pair shares no band with probability 8e-6; at 0.2, where texts
+#: only share a passage, it shares one with probability 2e-4, so a common passage makes few candidates.
+BANDS, ROWS = 64, 8
 #: Ids up to which a join with texts sends the ids to every executor (16 bytes each).
 SENT_IDS = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
