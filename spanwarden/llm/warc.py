@@ -1,14 +1,15 @@
 """WARC archives with revisit records in place of repeated payloads.
 
-Archives are written by Spark's text writer: a record's line ends with the two line
-breaks that close a WARC record, so each part file is a valid archive, and the commit
-protocol makes retried tasks harmless. They are read back as whole files and parsed
-by their length headers.
+Archives are written by Spark's text writer, compressed: a record's line ends with the
+two line breaks that close a WARC record, so each part file is a valid .warc.gz, and the
+commit protocol makes retried tasks harmless. They are read back as whole files and
+parsed by their length headers.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -81,7 +82,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     full = pages.select("page_id", F.regexp_replace("url", r"[\r\n]", "").alias("url"), payload.alias("payload")).withColumns({"digest": payload_digest(F.col("payload")), "n_bytes": F.octet_length("payload").cast("long")})
     kept = full.join(firsts, F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest")))
     records = kept.select(record("response", date, F.col("payload")).alias("value")).unionAll(heads.filter(~own).select(record("revisit", date, None).alias("value")))
-    records.write.option("lineSep", EOL * 2).option("maxRecordsPerFile", each).text(path)
+    records.write.option("lineSep", EOL * 2).option("maxRecordsPerFile", each).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -116,7 +117,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for data in b.column(0):
                 rows = []
-                for head, block in parse(data.as_py()):
+                for head, block in parse(gzip.decompress(data.as_py())):
                     split = bytes(block[:400]).index(b"\r\n\r\n") + 4
                     size, digest = len(block) - split, base64.b32encode(hashlib.sha1(block[split:]).digest()).decode()
                     if head["WARC-Type"] == "revisit":
