@@ -6,10 +6,11 @@ value; from round t on, round i serves bin i - t alone. So every bin is filled w
 the set's size, and the share of equal bins of two sketches is concentrated about the
 sets' Jaccard similarity. Bands of bins give buckets.
 
-No bucket is expanded into pairs at once. First each bucket's members are compared with
-one of them, another one in each band. The links found give components, and only members
-of a bucket that are in different components are then compared with each other. Links
-are confirmed on full sets of 64-bit shingle hashes.
+No large bucket is expanded into pairs. First each bucket's members are compared with one
+of them, another one in each band. The links found give components, and only members of a
+bucket that are in different components are then compared with each other: in small
+buckets as rows, in larger ones in blocks of members, which send on links only. Links are
+confirmed on full sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwarden.llm.pieces import release
 from spanwarden.llm.textkernel import LOWER, chunks, mix, row_sums, word_hashes, words
 from spanwarden.session import stored
 
@@ -29,6 +31,8 @@ from spanwarden.session import stored
 BANDS, ROWS = 64, 8
 #: Ids up to which a join with texts sends the ids to every executor (16 bytes each).
 SENT_IDS = 1_000_000
+#: Members of a bucket up to which its pairs become rows, and shingles of a block of a larger one.
+PAIRED, BLOCK_SHINGLES = 32, 250_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,6 +111,7 @@ def set_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """id, n, k1, k2, bands of each row of (id, text): its set's size, a 128-bit digest of it, and its band keys."""
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             for lo, hi, buf, offsets in chunks(b.column(1), 1 << 19):
                 values, bounds = shingles(buf, offsets, k)
@@ -197,18 +202,55 @@ def near_links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
     else:
         placed = buckets.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = stored(placed.select("bucket", "node", "n", "comp", "a"), "near-placed")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("node") == F.col("a"), F.col("comp"))).alias("main")).filter("lo < hi").select("bucket", "main")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("node") == F.col("a"), F.col("comp"))).alias("main"), F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).filter("lo < hi").drop("lo", "hi")
     rest = stored(placed.join(mixed, "bucket"), "near-rest")
-    minor = rest.filter("comp != main").select("bucket", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-    other = rest.select("bucket", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), (F.col("comp") != F.col("main")).alias("ym"), "a")
+    small = rest.filter(F.col("m") <= PAIRED)
+    minor = small.filter("comp != main").select("bucket", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
+    other = small.select("bucket", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), (F.col("comp") != F.col("main")).alias("ym"), "a")
     met = minor.join(other, (minor["bucket"] == other["bucket"]) & (F.col("xc") != F.col("yc")) & (F.col("y") != F.col("a")) & (~F.col("ym") | (F.col("x") < F.col("y"))) & close(F.col("xn"), F.col("yn")))
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = stored(confirmed(pairs, sets, percent), "near-links")
+    more = stored(confirmed(pairs, sets, percent).unionAll(block_links(rest.filter(F.col("m") > PAIRED), sets, percent)), "near-links")
     if not more.head(1):
         return joined
     return components(links.unionAll(more))
 
 
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket (bucket, node, n, comp, main, blocks) that are in different components.
+
+    A bucket's members are dealt over its blocks by a hash; each pair of blocks is one
+    group, which counts intersections by an index of its shingles. Pairs that are both in
+    the main component are not looked at.
+    """
+    block = F.pmod(F.xxhash64("node", F.lit(43)), F.col("blocks")).cast("int")
+    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = dealt.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "comp", (F.col("comp") == F.col("main")).alias("main"), "block")
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        node, comp, main, at = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "main", "block"))
+        one, two = t.column("one")[0].as_py(), t.column("two")[0].as_py()
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+        n = np.array([len(x) for x in held])
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        _, word = np.unique(np.concatenate(held), return_inverse=True)
+        mark = np.zeros(int(word.max()) + 1 if len(word) else 1, np.int32)
+        out = []
+        for x in np.flatnonzero(~main):
+            own = word[bounds[x] : bounds[x + 1]]
+            mark[own] = 1
+            both = row_sums(mark[word], bounds)
+            mark[own] = 0
+            near = (n > 0) & (n[x] > 0) & (100 * both >= percent * (n + n[x] - both)) & (comp != comp[x])
+            if one != two:
+                near &= at != at[x]
+            out += [(min(node[x], y), max(node[x], y)) for y in node[near].tolist()]
+        out = sorted(set((int(a), int(b)) for a, b in out))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return keyed.join(sets.select("node", "set"), "node").groupBy("bucket", "one", "two").applyInArrow(compare, "a long, b long")
+
+
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, n_shingles, component_id (the smallest id reachable over links) and kept of each row.
 

@@ -75,6 +75,22 @@ def test_near_copies_of_one_text(spark):
     assert sorted(map(tuple, nd.near_dedup(docs, k=2).collect())) == brute(rows, 2)
 
 
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nd, "PAIRED", 3)
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 1500)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(200):
+        t = list(base)
+        for _ in range(rng.choice([1, 6, 9, 12])):
+            t[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 2)
+    assert sorted(map(tuple, nd.near_dedup(docs, k=2).collect())) == want and 2 < sum(r[3] for r in want) < 190
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(3, "a b c d e f g"), (3, "p q r s t u v"), (1, "p q r s t u v"), (7, "a b c d e f g"), (9, "z z z")]
     docs = spark.createDataFrame([*rows, (None, "z z z"), (None, "alone here")], "doc_id long, text string")
