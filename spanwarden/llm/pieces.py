@@ -30,7 +30,7 @@ DROP = re.compile(r"[ \t\n]+")
 #: Characters that one call to the library gets, and that one group of texts holds.
 CALL_CHARS, GROUP_CHARS = 1 << 18, 1 << 22
 #: Pieces kept by a worker.
-KEPT = 1_000_000
+KEPT = 600_000
 #: A place before a full stop or comma that ends a word of ASCII letters.
 TAIL = re.compile(r"(?<=[A-Za-z])(?=[.,](?:[ \n]|$))")
 #: Texts without these have the same lower case character by character, and no composition to undo.
@@ -125,6 +125,11 @@ def encoder(path: str) -> PieceEncoder:
     return _LOADED[path]
 
 
+def release() -> None:
+    """Lets go of vocabularies and pieces: a worker outlives its stage, and the next one may need the memory."""
+    _LOADED.clear()
+
+
 def _load(path: str) -> tuple[Callable[[list[str]], list], int, str, np.ndarray | None, bool]:
     """The encoding function, the vocabulary's size, the mode, which ids carry an end mark, and whether case is dropped."""
     if path.endswith(".model"):
