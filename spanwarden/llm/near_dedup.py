@@ -244,7 +244,9 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             near = (n > 0) & (n[x] > 0) & (100 * both >= percent * (n + n[x] - both)) & (comp != comp[x])
             if one != two:
                 near &= at != at[x]
-            out += [(min(node[x], y), max(node[x], y)) for y in node[near].tolist()]
+            # members of one component are linked already: one link to it is enough
+            _, first = np.unique(comp[near], return_index=True)
+            out += [(min(node[x], y), max(node[x], y)) for y in node[near][first].tolist()]
         out = sorted(set((int(a), int(b)) for a, b in out))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
