@@ -3,8 +3,9 @@
 The mix is a sequence of slots. Slot k has the point frac((k + 1) * golden ratio),
 which the cumulative weights map to a source, so every stretch of the sequence has
 each source in near its share. A source's documents, shuffled by a hash, are cut into
-blocks of equal words; the r-th slot of a source takes its block r modulo the number
-of its blocks, so a source repeats only once all of it was taken.
+blocks of equal words, smaller ones in a rare source, which has more slots for its words;
+the r-th slot of a source takes its block r modulo the number of its blocks, so a source
+repeats only once all of it was taken.
 
 Running sums and ranks are taken in two levels: within small pieces of a source, and
 over the pieces' totals. A source that holds a third of all rows is many pieces.
@@ -73,8 +74,8 @@ def schedule(spark: SparkSession, quotas: list[int], piece_slots: int = 4096) ->
     quotas[s] - 1.
     """
     total = sum(quotas)
-    # golden points in an interval of share w number n * w to within O(log n)
-    n = total + int(40 * len(quotas) * (1 + math.log(total + 1))) if total else 0
+    # golden points in an interval of share w number n * w to within O(log n), so the rarest source needs most
+    n = total + total * (4 + math.log(total + 1)) / min((q for q in quotas if q), default=1)
     n = int(n * (1 + 1e-9)) + 1
     edges, at = [], 0
     for q in quotas:
@@ -99,8 +100,8 @@ def mix(docs: DataFrame, pattern=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     times is how often the mix takes the document and taken the words of that; first_slot
     is its block's first place in the sequence (null if it is not taken). A document
     belongs to the block that holds its middle word. Blocks have about ``block_words``
-    words (by default a 100 000th of the mix, a million at most), fewer than a hundredth of
-    the smallest source's target where that leaves at most four million slots.
+    words (by default a 100 000th of the mix, a million at most), and at most a hundredth
+    of their own source's target, whatever the size of the others.
 
     A null text has size 0 and takes 0; a null source is a source of its own, the last.
     Repeated rows are mixed as documents of their own; reruns agree. Sources must be few
@@ -116,12 +117,10 @@ def mix(docs: DataFrame, pattern=(3, 1, 2), share: float = 1.5, cap: float = 2.0
         return spark.createDataFrame([], f"{id_col} {sized.schema[0].dataType.simpleString()}, size long, source_size long, target double, taken long, times long, first_slot long")
     goal = targets({x: w for x, (w, _) in stats.items()}, pattern, share, cap)
     names, whole = list(goal), sum(goal.values())
-    words = block_words or max(1, min(1_000_000, int(whole / 100_000)))
-    if block_words is None:
-        least = min((t for t in goal.values() if t > 0), default=1)
-        words = max(1, min(words, max(int(least / 100), int(whole / 4_000_000))))
-    blocks = [max(1, -(-stats[x][0] // words)) for x in names]
-    quotas = [min(round(goal[x] / words), int(cap * n)) for x, n in zip(names, blocks)]
+    most = block_words or max(1, min(1_000_000, int(whole / 100_000)))
+    words = [max(1, min(most, int(goal[x] / 100))) for x in names]
+    blocks = [max(1, -(-stats[x][0] // w)) for x, w in zip(names, words)]
+    quotas = [min(round(goal[x] / w), int(cap * n)) for x, w, n in zip(names, words, blocks)]
     number = F.lit(names.index(None) if None in names else -1)
     listed = [x for x in names if x is not None]
     if listed:
@@ -135,7 +134,7 @@ def mix(docs: DataFrame, pattern=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     placed = placed.withColumn("spot", F.struct("number", "piece"))
     run = before(placed, "number", "piece", ["shuffled", "id", "tie"], "size", "start")
     middle = F.col("start") + F.floor(F.col("size") / 2)
-    run = run.withColumn("block", F.least(F.floor(middle / words), of(blocks, "long") - 1).cast("long"))
+    run = run.withColumn("block", F.least(F.floor(middle / of(words, "long")), of(blocks, "long") - 1).cast("long"))
     slots = schedule(spark, quotas)
     block_count = F.element_at(F.array(*[F.lit(b).cast("long") for b in blocks]), F.col("source") + 1)
     taken = slots.groupBy(F.col("source").alias("_source"), (F.col("rank") % block_count).alias("_block")).agg(F.count("*").alias("n"), F.min("slot").alias("first_slot"))

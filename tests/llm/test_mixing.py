@@ -66,3 +66,23 @@ def test_running_sum(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("g"), F.floor(F.col("id") / 50).alias("p"), "id", (F.col("id") * 7 % 11).alias("v"))
     got = {(r["g"], r["id"]): r["s"] for r in m.before(df, "g", "p", ["id"], "v", "s").collect()}
     assert got == {(i % 3, i): sum(j * 7 % 11 for j in range(i) if j % 3 == i % 3) for i in range(500)}
+
+
+def test_rare_source_in_a_large_mix(spark):
+    rows = [(i, None, "abc"[i % 3], (2_400_000, 1_800_000, 600_000)[i % 3]) for i in range(3000)]
+    rows += [(3000 + i, None, "rare", 100) for i in range(4)] + [(3010 + i, None, "tiny", 1) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    got, of = {}, {i: s for i, _, s, _ in rows}
+    for r in m.mix(docs, size=F.col("n")).collect():
+        source = of[r["doc_id"]]
+        taken, _ = got.get(source, (0, 0))
+        got[source] = taken + r["taken"], r["target"]
+    assert got["rare"] == (800, 800) and got["tiny"] == (20, 20)
+    for s in "abc":
+        assert abs(got[s][0] - got[s][1]) <= 0.01 * got[s][1] + 2_400_000, (s, got[s])
+
+
+def test_schedule_reaches_a_rare_quota(spark):
+    quotas = [100_000, 1, 3, 20]
+    got = {r["source"]: r["n"] for r in m.schedule(spark, quotas).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert [got.get(s, 0) for s in range(4)] == quotas
