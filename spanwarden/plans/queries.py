@@ -152,11 +152,19 @@ def q_rules(spark, d):
 
 @query(f"WITH s AS {SPIKED_SQL}, b AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{{40,}}={{0,2}}')) AS blob FROM s WHERE doc_id % 12 = 7) SELECT doc_id, decode(from_base64(blob)) AS plain FROM b WHERE length(blob) % 4 = 0")
 def q_base64_payloads(spark, d):
-    """EN-01, NM-03."""
+    """EN-01, NM-03: the part that SQL can follow, long payloads in the rows where one was planted; all are in q_encoded_payloads."""
     found = spiked(spark, d).filter("doc_id % 12 = 7").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/]{40,}={0,2}"), F.lit(0))).alias("blob")).filter(F.length("blob") % 4 == 0)
     return found.select("doc_id", F.expr("cast(try_to_binary(blob, 'base64') AS STRING)").alias("plain")).filter("plain is not null")
 
 
+@query()
+def q_encoded_payloads(spark, d):
+    """EN-01, NM-03: every payload of every row. No SQL: whether a run is a payload is decided in Python."""
+    # for explode, Spark infers a filter on the array and runs the search twice
+    found = scanners.payloads(spiked(spark, d)).select("doc_id", F.explode_outer("payloads").alias("x")).filter("x is not null")
+    return found.select("doc_id", "x.start", "x.end", "x.plain")
+
+
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def q_registry_matches(spark, d):
     """DT-12, JN-04: registered values inside texts."""

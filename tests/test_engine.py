@@ -1,3 +1,4 @@
+import base64
 import glob
 import os
 import re
@@ -74,6 +75,25 @@ def test_detection():
     assert found("the weather is fine today", "retrieved") == []
 
 
+def test_payloads_of_all_rows(spark, tmp_path):
+    coded = lambda v: base64.b64encode(v if isinstance(v, bytes) else v.encode()).decode()
+    short, many = coded("meet at the old pier"), [coded(f"payload number {i:02d}") for i in range(8)]
+    texts = {0: f"é {short}", 1: " ".join(many), 2: f"ghp_{short} {coded(b'\xff' * 30)} {coded('x' * 14)[:19]}", 3: f"{short} {short}", 7: f"see {short}", 11: None, 12: "none"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, v in texts.items():
+        v = f"{v} {plans.SPIKES[i % 12]}" if v is not None else ""
+        for m in re.finditer(r"[A-Za-z0-9+/]{20,}={0,2}", v):
+            try:
+                plain = base64.b64decode(m[0], validate=True).decode()
+            except ValueError:
+                continue
+            if not v[: m.start()].endswith("ghp_"):
+                want.append((i, *m.span(), plain))
+    got = sorted(tuple(r) for r in plans.queries()["q_encoded_payloads"](spark, str(tmp_path)).collect())
+    assert got == sorted(want) and [x[0] for x in got] == [0] + [1] * 8 + [3] * 2 + [7] * 2
+
+
 def test_failing_scanner_blocks():
     scanners.register("broken", lambda x: 1 / 0)
     assert ("broken", "scanner_error") in found("x", "user", ("broken",))
