@@ -7,7 +7,7 @@ to the shared folder, and the next one reads it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwarden.llm.decontamination import bounded, contaminated
@@ -24,37 +24,50 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return without_toxic(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def row_key() -> Column:
+    """A row's doc_id; without one, a number from 2**62 on that is a hash of text and source."""
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    own = F.xxhash64(text, source, text.isNull(), source.isNull())
+    return F.coalesce(F.col("doc_id").cast("long"), own.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Five-word shingles, similarity 0.8. Of rows that repeat a doc_id one stays; rows
-    with a null doc_id stay unless they equal another document's set.
+    Five-word shingles, similarity 0.8. Of rows that repeat a doc_id one stays. A row
+    without one is judged by ``row_key``: it goes where its group has a doc_id, and of a
+    group without any one row stays. Such rows without words are in no group, and all stay.
     """
-    found = stored(near_dedup(docs, k=5, percent=80).select(F.col("doc_id").alias("_id"), "kept"), "pipeline-kept")
-    gone = stored(found.filter(~F.col("kept") & F.col("_id").isNotNull()).select("_id").distinct(), "pipeline-gone")
-    left = docs.join(bounded(gone), F.col("doc_id") == F.col("_id"), "left_anti")
-    again = stored(found.filter("kept and _id is not null").groupBy("_id").count().filter("count > 1").select("_id"), "pipeline-again")
+    keyed = docs.withColumn("_key", row_key())
+    found = stored(near_dedup(keyed, k=5, percent=80, id_col="_key").select(F.col("_key").alias("_id"), "kept", "n_shingles"), "pipeline-kept")
+    gone = stored(found.filter(~F.col("kept")).select("_id").distinct(), "pipeline-gone")
+    left = keyed.join(bounded(gone), F.col("_key") == F.col("_id"), "left_anti")
+    again = stored(found.filter("kept").groupBy("_id").agg(F.count("*").alias("count"), F.max("n_shingles").alias("_n")).filter("count > 1").select("_id", "_n"), "pipeline-again")
     if not again.head(1):
-        return left
-    once = left.join(bounded(again), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(bounded(again), F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
+        return left.select(*docs.columns)
+    repeats = (F.col("_key") == F.col("_id")) & (F.col("doc_id").isNotNull() | (F.col("_n") > 0))
+    once = left.join(bounded(again), repeats, "left_semi").dropDuplicates(["_key"])
+    return left.join(bounded(again), repeats, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than 0.8 of the shingles of every benchmark item."""
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark"), k=5, containment=0.8)
-    gone = stored(hits.filter("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct(), "pipeline-gone")
-    return docs.join(bounded(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    """Documents, with a doc_id or not, that hold less than 0.8 of the shingles of every benchmark item."""
+    keyed = docs.withColumn("_key", row_key())
+    hits = contaminated(keyed, table(spark, sf_dir, "benchmark"), k=5, containment=0.8, id_col="_key")
+    gone = stored(hits.select(F.col("_key").alias("_id")).distinct(), "pipeline-gone")
+    return keyed.join(bounded(gone), F.col("_key") == F.col("_id"), "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice.
+    """Each document, with a doc_id or not, as often as the mix takes it: not at all, once or twice.
 
-    Rows that repeat a doc_id are taken as often as the most taken of them.
+    Rows that repeat a doc_id are taken as often as the most taken of them, as are rows
+    without one that agree in text and source.
     """
-    times = stored(mix(docs).filter("times > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").cast("int").alias("_times")), "pipeline-times")
-    chosen = docs.join(bounded(times), F.col("doc_id") == F.col("_id"))
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    keyed = docs.withColumn("_key", row_key())
+    times = stored(mix(keyed, id_col="_key").filter("times > 0").groupBy(F.col("_key").alias("_id")).agg(F.max("times").cast("int").alias("_times")), "pipeline-times")
+    chosen = keyed.join(bounded(times), F.col("_key") == F.col("_id"))
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def token_output_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,21 @@ def test_odd_rows(spark, tmp_path):
     for name, stage in cp.STAGES:
         empty = stored(stage(spark, empty, str(tmp_path)), f"odd-{name}")
     assert empty.count() == 0
+
+
+def test_rows_without_an_id(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    made = lambda name: " ".join(f"{name}{j}" for j in range(60))
+    a, b, c, p = map(made, "abcp")
+    rows = [(1, a, "en", "s", 1), (None, a, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "fr", "s", 1), (None, f"{b} more", "en", "s", 1), (None, c, "en", "s", 1), (None, f"{c} {p}", "en", "s", 1), (None, None, None, None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(0, p)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = lambda df: sorted((r["doc_id"] or 0, "b" if (r["text"] or "").startswith(b) else r["text"] or "") for r in df.collect())
+    one = stored(cp.near_dedup_stage(spark, docs, str(tmp_path)), "test-near")
+    assert one.columns == docs.columns
+    assert texts(one) == sorted([(1, a), (0, "b"), (0, c), (0, f"{c} {p}"), (0, ""), (0, "")])
+    two = stored(cp.decontamination_stage(spark, one, str(tmp_path)), "test-clean")
+    assert texts(two) == sorted([(1, a), (0, "b"), (0, c), (0, ""), (0, "")])
+    three = stored(cp.mixing_stage(spark, two, str(tmp_path)), "test-mix")
+    assert three.columns == docs.columns and set(texts(three)) == {(1, a), (0, "b"), (0, c)} and 4 <= three.count() <= 5
+    assert cp.token_output_stage(spark, three, str(tmp_path)).count() == three.count()
