@@ -66,17 +66,22 @@ def token_order(texts: DataFrame, tokens: list[str]) -> dict[str, int]:
     return {w: k for k, w in enumerate(sorted(tokens, key=lambda w: (counts.get(w, 0), w)))}
 
 
-def similar_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
+def longest(templates) -> int:
+    """Words of the longest template, repeated ones counted."""
+    return max(sum(1 for w in re.split(GAP, t.lower()) if w) for _, t in templates)
+
+
+def similar_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = 0.9, step: int | None = None) -> DataFrame:
     """key, block, label, template, containment of every block that holds a template to ``threshold``.
 
     ``texts`` has key and words; equal keys must have equal words. Blocks are runs of
-    words of twice the largest template's length that start at each multiple of that
-    length, so any run as long as a template lies inside one. The containment is the
+    2 * ``step`` words that start at each multiple of ``step`` (by default the largest
+    number of distinct tokens of a template), so any run of ``step`` words lies inside one. The containment is the
     share of the template's distinct tokens that stand in the block.
     """
     sets = [(label, template_tokens(t)) for label, t in templates]
     order = token_order(texts, _tokens(sets))
-    step = max(len(t) for _, t in sets)
+    step = step or max(len(t) for _, t in sets)
     index, needs = [], {}
     for k, (label, t) in enumerate(sets):
         ranks = sorted(order[w] for w in t)
@@ -124,7 +129,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, i
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.md5("text").alias("key"), words_of(F.col("text")).alias("words"))
-    found = similar_blocks(texts.select("key", "words"), templates, threshold).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    found = similar_blocks(texts.select("key", "words"), templates, threshold, longest(templates)).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     places = {f"p{k}": _phrase("words", phrase) for k, (phrase, _) in enumerate(BASE_PHRASES)}
     base = texts.withColumns(places).withColumn("every", F.flatten(F.array(*places)))
     own = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE_PHRASES)]))

@@ -67,3 +67,10 @@ def test_blocks_against_brute_force(spark):
 
 def test_empty(spark):
     assert ls.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_template_that_repeats_words(spark):
+    template = " ".join(f"{w} again" for w in "abcdefghijklmnopqrst")
+    docs = spark.createDataFrame([(k, " ".join(["x"] * k + [template] + ["y"] * 50)) for k in range(45)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in ls.license_scan(docs, templates=(("long", template),), threshold=1.0).collect()}
+    assert got == {k: ("long", 1.0) for k in range(45)}
