@@ -190,9 +190,9 @@ def near_links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
     shared = member.groupBy("bucket").agg(F.min_by("node", order).alias("a"), F.min_by("n", order).alias("an"), F.count("*").alias("m")).filter("m > 1").drop("m")
     # buckets with company are few: they are hashed, and the members streamed past them unsorted
     buckets = stored(member.join(shared.hint("shuffle_hash"), "bucket"), "near-buckets")
-    star = stored(buckets.filter((F.col("a") != F.col("node")) & close(F.col("n"), F.col("an"))).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "near-pairs")
-    if not star.head(1):
+    if not buckets.head(1):
         return None
+    star = stored(buckets.filter((F.col("a") != F.col("node")) & close(F.col("n"), F.col("an"))).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "near-pairs")
     # every member of a bucket with company may be compared later on
     sets = stored(full_sets(docs, buckets.select("node").distinct(), k), "near-sets")
     links = stored(confirmed(star, sets, percent), "near-links")

@@ -121,3 +121,14 @@ def test_shingles_match_strings():
         for _, _, buf, offsets in chunks(pa.array(texts)):
             values, bounds = nd.shingles(buf, offsets, k)
             assert np.diff(bounds).tolist() == [len(sets(t, k)) for t in texts]
+
+
+def test_bucket_led_by_a_text_of_another_size(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, f"{text} more"), (3, " ".join(f"v{i}" for i in range(300)))], "id long, text string")
+    # a bucket whose chosen member is the long text
+    key = nd.F.xxhash64("node", "bucket")
+    led = spark.range(64).withColumnRenamed("id", "bucket").crossJoin(docs.select(nd.F.col("id").alias("node"))).groupBy("bucket").agg(nd.F.min_by("node", key).alias("a")).filter("a = 3").head()["bucket"]
+    reps = nd.stored(nd.set_table(docs, 5, nd.BANDS, nd.ROWS).select(nd.F.col("id").alias("node"), "n", "k1", "k2", nd.F.array(nd.F.lit(led).cast("long")).alias("bands")), "test-reps")
+    found = nd.near_links(docs, reps, 5, 80)
+    assert found is not None and sorted(map(tuple, found.collect())) == [(1, 1), (2, 1)]
