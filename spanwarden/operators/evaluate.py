@@ -66,7 +66,10 @@ def pipeline_stats(scanned: DataFrame) -> DataFrame:
 
 ROT13 = "".join(map(chr, [*range(65, 91), *range(97, 123)]))
 
-#: FN-22: payload converters, by name.
+MORSE = dict(zip("abcdefghijklmnopqrstuvwxyz ", ".- -... -.-. -.. . ..-. --. .... .. .--- -.- .-.. -- -. --- .--. --.- .-. ... - ..- ...- .-- -..- -.-- --.. /".split()))
+ASCII = "".join(map(chr, range(1, 0x7F)))
+
+#: Payload converters, by name: eleven of the attack matrix, and literal, upper and markdown of our own.
 CONVERTERS = {
     "literal": lambda c: c,
     "base64": lambda c: F.base64(c.cast("binary")),
@@ -83,11 +86,17 @@ CONVERTERS = {
     "fullwidth": lambda c: F.translate(c, "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + k) for k in range(26))),
     "markdown": lambda c: F.concat(F.lit("**"), c, F.lit("**")),
 }
+#: FN-22: the 14 converters of the attack matrix.
+ATTACKS = {k: f for k, f in CONVERTERS.items() if k not in ("literal", "upper", "markdown")} | {
+    "morse": lambda c: F.array_join(F.transform(F.split(F.lower(c), ""), lambda x: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in MORSE.items() for v in kv]), x), x)), " "),
+    "unicode_tags": lambda c: F.translate(c, ASCII, "".join(chr(0xE0000 + ord(x)) for x in ASCII)),
+    "mixed_case": lambda c: F.array_join(F.transform(F.split(c, ""), lambda x, i: F.when(i % 2 == 1, F.upper(x)).otherwise(F.lower(x))), ""),
+}
 
 
-def converted(payloads: DataFrame, text_col: str = "payload") -> DataFrame:
+def converted(payloads: DataFrame, text_col: str = "payload", converters=CONVERTERS) -> DataFrame:
     """Each payload in each converted form (converter, text)."""
-    forms = F.array(*[F.struct(F.lit(k).alias("converter"), f(F.col(text_col)).alias("text")) for k, f in CONVERTERS.items()])
+    forms = F.array(*[F.struct(F.lit(k).alias("converter"), f(F.col(text_col)).alias("text")) for k, f in converters.items()])
     return payloads.withColumn("form", F.explode(forms)).select("*", "form.converter", "form.text").drop("form")
 
 
