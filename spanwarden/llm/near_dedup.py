@@ -7,7 +7,7 @@ the set's size, and the share of equal bins of two sketches is concentrated abou
 sets' Jaccard similarity. Bands of bins give buckets.
 
 No large bucket is expanded into pairs. First each bucket's members are compared with one
-of them, another one in each band. The links found give components, and only members of a
+of them, the first in an order that all bands share. The links found give components, and only members of a
 bucket that are in different components are then compared with each other: in small
 buckets as rows, in larger ones in blocks of members, which send on links only. Links are
 confirmed on full sets of 64-bit shingle hashes.
@@ -186,7 +186,8 @@ def near_links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
     """node, comp over the sets of ``reps`` (node, n, k1, k2, bands); None if nothing is linked."""
     close = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     member = reps.select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
-    order = F.xxhash64("node", "bucket")
+    # the same order in every band, so that a group's buckets mostly agree on the member that leads them
+    order = F.xxhash64("node", F.lit(47))
     shared = member.groupBy("bucket").agg(F.min_by("node", order).alias("a"), F.min_by("n", order).alias("an"), F.count("*").alias("m")).filter("m > 1").drop("m")
     # buckets with company are few: they are hashed, and the members streamed past them unsorted
     buckets = stored(member.join(shared.hint("shuffle_hash"), "bucket"), "near-buckets")
