@@ -90,3 +90,19 @@ def test_toxicity(spark):
     assert by[700]["score"] == by[701]["score"] and by[700]["predicted"] == 0 and by[None]["predicted"] == 1
     assert {r["score"] for r in toxicity(docs, marks.filter("toxic = 0")).collect()} == {0.0}
     assert toxicity(docs.limit(0), marks).count() == 0
+
+
+def test_toxicity_of_long_texts(spark):
+    rng = np.random.default_rng(2)
+    plain = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        text = list(rng.choice(plain, (30, 300, 3000)[i % 3]))
+        if i % 4 == 0:
+            at = int(rng.integers(len(text)))
+            text[at : at + 1] = ["nasty", "vile"]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert {(r["doc_id"], r["predicted"]) for r in got} == set(labels)
