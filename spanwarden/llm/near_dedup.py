@@ -213,7 +213,10 @@ def near_links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
     more = stored(confirmed(pairs, sets, percent).unionAll(block_links(rest.filter(F.col("m") > PAIRED), sets, percent)), "near-links")
     if not more.head(1):
         return joined
-    return components(links.unionAll(more))
+    if joined is None:
+        return components(more)
+    # a component's members tied to its smallest stand for all its links
+    return components(more.unionAll(joined.filter("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))))
 
 
 def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
