@@ -18,8 +18,10 @@ each tokenizer (``PieceEncoder.mode``):
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from contextlib import contextmanager
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,15 +30,27 @@ LEAD = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 MARK = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 DROP = re.compile(r"[ \t\n]+")
 #: Characters that one call to the library gets, and that one group of texts holds.
-CALL_CHARS, GROUP_CHARS = 1 << 18, 1 << 22
-#: Pieces kept by a worker.
-KEPT = 600_000
-#: A place before a full stop or comma that ends a word of ASCII letters.
-TAIL = re.compile(r"(?<=[A-Za-z])(?=[.,](?:[ \n]|$))")
+CALL_CHARS, GROUP_CHARS = 1 << 18, 1 << 21
+#: Pieces kept by a worker, in two generations of half as many each (some 250 bytes for one).
+KEPT = 1_000_000
+#: A full stop or comma that ends a word of ASCII letters.
+TAIL = re.compile(r"[.,](?=[ \n]|$)(?<=[A-Za-z][.,])")
 #: Texts without these have the same lower case character by character, and no composition to undo.
 UNEVEN = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for reference cycles meanwhile: lists of words make none, and there are many."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def grouped(items: list[str], most: int) -> Iterator[list[str]]:
     """Runs of ``items`` of about ``most`` characters each; a longer item stands alone."""
     group, held = [], 0
@@ -51,29 +65,41 @@ def grouped(items: list[str], most: int) -> Iterator[list[str]]:
 
 
 class PieceEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
+        self.kept = kept
         self.encode, self.vocab_size, self.mode, self.ends, self.lower = _load(path)
-        self._ids: dict[str, bytes] = {}
-        self._lengths: dict[str, int] = {}
+        self._young: dict[str, bytes | int] = {}
+        self._old: dict[str, bytes | int] = {}
+        self._of: Callable | None = None
 
     def split(self, text: str) -> list[str]:
         if self.mode == "drop":
-            if self.lower and not UNEVEN.search(text):
+            plain = text.isascii()
+            if self.lower and not ("<|" in text if plain else UNEVEN.search(text)):
                 text = text.lower()
-            text = TAIL.sub(" ", text)
-            return text.split() if text.isascii() and not _ODD.search(text) else DROP.split(text)
+            text = TAIL.sub(r" \g<0>", text)
+            return text.split() if plain and not any(x in text for x in _ODD) else DROP.split(text)
         if self.mode == "lead":
             return LEAD.split(text)
         if self.mode == "mark":
             return MARK.split(text)
         return [text]
 
-    def _known(self, split: list[list[str]], cache: dict, of: Callable) -> None:
-        new = set().union(*split) - cache.keys()
-        if len(cache) + len(new) > KEPT:
-            cache.clear()
-            new = set().union(*split)
-        rest = sorted(new, key=len)
+    def _known(self, split: list[list[str]], of: Callable) -> dict:
+        """Values of all pieces of ``split``: the young generation, with what they need of the old one and of the tokenizer.
+
+        A full young generation becomes the old one, so pieces in use are never forgotten.
+        """
+        if self._of is not of:
+            self._young, self._old, self._of = {}, {}, of
+        seen = set().union(*split)
+        new = seen - self._young.keys()
+        if self._young and len(self._young) + len(new) > self.kept // 2:
+            self._young, self._old, new = {}, self._young, seen
+        cache, old = self._young, self._old
+        back = new & old.keys()
+        cache.update((x, old[x]) for x in back)
+        rest = sorted(new - back, key=len)
         if self.ends is not None:
             plain, other = [], []
             for x in rest:
@@ -83,6 +109,7 @@ class PieceEncoder:
                 self._together(group, cache, of)
         for group in grouped(rest, CALL_CHARS):
             cache.update(zip(group, [of(np.array(x, "<u4").tobytes()) for x in self.encode(group)]))
+        return cache
 
     def _together(self, group: list[str], cache: dict, of: Callable) -> None:
         """Words of letters, encoded in one text: each is one run of tokens, closed by the only token with an end mark."""
@@ -97,31 +124,38 @@ class PieceEncoder:
         """Numbers of ids of whole texts."""
         out: list[int] = []
         for group in grouped(texts, GROUP_CHARS):
-            split = [self.split(t) for t in group]
-            self._known(split, self._lengths, lambda x: len(x) >> 2)
-            get = self._lengths.__getitem__
-            out += [sum(map(get, x)) for x in split]
+            with uncollected():
+                split = [self.split(t) for t in group]
+                get = self._known(split, _length).__getitem__
+                out += [sum(map(get, x)) for x in split]
         return out
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of whole texts, unsigned 32-bit."""
         for group in grouped(texts, GROUP_CHARS):
-            split = [self.split(t) for t in group]
-            self._known(split, self._ids, lambda x: x)
-            get = self._ids.__getitem__
-            for x in split:
-                yield np.frombuffer(b"".join(map(get, x)), "<u4")
+            with uncollected():
+                split = [self.split(t) for t in group]
+                get = self._known(split, bytes).__getitem__
+                raw = [b"".join(map(get, x)) for x in split]
+                del split
+            for x in raw:
+                yield np.frombuffer(x, "<u4")
 
 
 #: ASCII white space that str.split takes and DROP does not.
-_ODD = re.compile(r"[\x0b\x0c\r\x1c-\x1f]")
+_ODD = "\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _LOADED: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each worker process and file."""
+def _length(raw: bytes) -> int:
+    return len(raw) >> 2
+
+
+def encoder(path: str, kept: int = KEPT) -> PieceEncoder:
+    """One encoder for each worker process and file; it keeps about ``kept`` pieces."""
     if path not in _LOADED:
         _LOADED[path] = PieceEncoder(path)
+    _LOADED[path].kept = kept
     return _LOADED[path]
 
 

@@ -31,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwarden.llm.pieces import encoder
+from spanwarden.llm.pieces import KEPT, encoder
+from spanwarden.llm.workers import trim
 from spanwarden.session import new_path
 
 HEAD = struct.Struct("<4sHBBIQQ")
@@ -101,7 +102,7 @@ class Shard:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
-def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> None:
     """Encodes whole texts in ascending order of the id and writes shards to ``path``.
 
     Rows are dealt by ranges of the id, so a hot source or text spreads like any other;
@@ -114,7 +115,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str,
     ordered = rows.repartitionByRange(parts, F.col("id")).sortWithinPartitions("id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, kept), TaskContext.get().partitionId()
         bits, end = id_bits(max(enc.vocab_size, end_id + 1)), np.array([end_id], "<u4")
         keys, lengths, held, n, seq, before = [], [], [], 0, 0, 0
 
@@ -122,7 +123,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str,
             payload = write_shard(keys, lengths, np.concatenate(held), bits)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([len(keys)]), pa.array([n]), pa.array([payload], pa.binary())], [x.split()[0] for x in SCHEMA.split(", ")])
 
-        for b in batches:
+        # a slice of a batch at a time becomes Python strings
+        for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             for key, ids in zip(b.column(0).to_pylist(), enc.ids(b.column(1).to_pylist())):
                 keys.append(key)
                 lengths.append(len(ids) + 1)
@@ -134,6 +136,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str,
                     keys, lengths, held, n = [], [], [], 0
         if keys:
             yield shard()
+        del keys, lengths, held
+        trim()
 
     ordered.mapInArrow(encode, SCHEMA).write.parquet(path)
 
@@ -166,11 +170,12 @@ def read_token_shards(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     return shards.mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
     """Writes ``docs`` as token shards in the shared folder and reads them back, a row for each document.
 
+    A worker keeps about ``kept`` encoded pieces, some 250 bytes each: fewer cost time, not results.
     An empty table gives an empty result; see :func:`write_token_shards` for nulls and ties.
     """
     path = new_path(docs.sparkSession, "tokens")
-    write_token_shards(docs, tokenizer, end_id, path, id_col, text_col)
+    write_token_shards(docs, tokenizer, end_id, path, id_col, text_col, kept)
     return read_token_shards(docs.sparkSession, path, id_col)
