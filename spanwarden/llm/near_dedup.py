@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwarden.llm.pieces import release
 from spanwarden.llm.textkernel import LOWER, chunks, mix, row_sums, word_hashes, words
+from spanwarden.llm.workers import tidy
 from spanwarden.session import stored
 
 #: Bands and bins of a band: at similarity 0.8 a pair shares no band with probability 8e-6; at 0.2, where texts
@@ -111,7 +111,6 @@ def set_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """id, n, k1, k2, bands of each row of (id, text): its set's size, a 128-bit digest of it, and its band keys."""
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for b in batches:
             for lo, hi, buf, offsets in chunks(b.column(1), 1 << 19):
                 values, bounds = shingles(buf, offsets, k)
@@ -121,7 +120,7 @@ def set_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * (hi - lo) + 1, bands), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), *map(pa.array, digest), lists], ["id", "n", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(sketches, "id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(tidy(sketches), "id long, n long, k1 long, k2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -138,7 +137,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 raw, at = values.tobytes(), (8 * bounds).tolist()
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *map(pa.array, digest), pa.array([raw[a:z] for a, z in zip(at, at[1:])], pa.binary())], ["node", "k1", "k2", "set"])
 
-    found = docs.join(ids, "id", "left_semi").mapInArrow(sets, "node long, k1 long, k2 long, set binary")
+    found = docs.join(ids, "id", "left_semi").mapInArrow(tidy(sets), "node long, k1 long, k2 long, set binary")
     # an id may come with several texts: each of its sets counts once
     return found.dropDuplicates(["node", "k1", "k2"])
 
@@ -161,7 +160,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one, two = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(verify, "a long, b long")
+    return joined.mapInArrow(tidy(verify), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

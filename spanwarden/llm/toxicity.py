@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from spanwarden.llm.language_id import crc_fold
 from spanwarden.llm.textkernel import LOWER, NOT_ALNUM, chunks, row_sums, word_hashes, words
+from spanwarden.llm.workers import tidy
 from spanwarden.session import stored
 
 DISCOUNT = 0.75
@@ -184,7 +185,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(x.copy()) for x in counts.T)], ["word", *parts])
 
     parts = [f"n{i}" for i in range(2 * FOLDS)]
-    worded = sample.select("toxic", "fold", "text").mapInArrow(word_docs, "word long, " + ", ".join(f"{x} long" for x in parts))
+    worded = sample.select("toxic", "fold", "text").mapInArrow(tidy(word_docs), "word long, " + ", ".join(f"{x} long" for x in parts))
     frequent = worded.groupBy("word").agg(*(F.sum(x).alias(x) for x in parts)).withColumn("n", sum(map(F.col, parts))).filter(F.col("n") >= least_docs)
     got = frequent.orderBy(F.desc("n"), "word").limit(most_words).toArrow()
     vocab, texts = got.column(0).to_numpy().view(np.uint64), np.stack([got.column(x).to_numpy() for x in parts], 1)
@@ -208,7 +209,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 keys, counts = np.unique((before * size + ids) * (2 * FOLDS) + np.repeat(part[lo:hi], n), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts, pa.int64())], ["key", "n"])
 
-    counted = sample.select("toxic", "fold", "text").mapInArrow(bigrams, "key long, n long").groupBy("key")
+    counted = sample.select("toxic", "fold", "text").mapInArrow(tidy(bigrams), "key long, n long").groupBy("key")
     got = counted.agg(F.sum("n").cast("int").alias("n")).toArrow()
     key, n = got.column(0).to_numpy(), got.column(1).to_numpy().astype(float)
     order = np.argsort(key)
@@ -236,7 +237,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 own = np.stack([m.ratios(*hashed) for m in models])[part[lo:hi], np.arange(hi - lo)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *map(pa.array, own.T.copy())], ["toxic", "mean", "word", "window", "length"])
 
-    got = sample.select("toxic", "fold", "text").mapInArrow(ratios, "toxic int, mean double, word double, window double, length double").toArrow()
+    got = sample.select("toxic", "fold", "text").mapInArrow(tidy(ratios), "toxic int, mean double, word double, window double, length double").toArrow()
     toxic, *seen = (c.to_numpy().astype(float) for c in got.columns)
     order = np.lexsort((toxic, *seen))
     toxic, seen = toxic[order], np.stack(seen, 1)[order]
@@ -264,7 +265,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
                 out[lo:hi] = model.score(model.ratios(*hashed_words(buf, offsets)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], ["id", "held_out", "score"])
 
-    scored = rows.mapInArrow(score, f"id {rows.schema[0].dataType.simpleString()}, held_out boolean, score double")
+    scored = rows.mapInArrow(tidy(score), f"id {rows.schema[0].dataType.simpleString()}, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -282,4 +283,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id
                 out[lo:hi] = model.score(model.ratios(*hashed_words(buf, offsets)))
             yield b.filter(pa.array(out < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
