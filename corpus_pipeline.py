@@ -19,6 +19,10 @@ from spanwarden.llm.toxicity import without_toxic
 from spanwarden.session import stored, table
 
 
+#: Encoded pieces that a worker of the last stage keeps; executors hold what earlier stages left beside them.
+KEPT_PIECES = 300_000
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.3."""
     return without_toxic(docs, table(spark, sf_dir, "labels"), threshold=0.3)
@@ -72,7 +76,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_output_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes token shards and reads them back: a row for each document."""
-    return token_output(docs, word_tokenizer(), end_id=1)
+    return token_output(docs, word_tokenizer(), end_id=1, kept=KEPT_PIECES)
 
 
 STAGES = [
