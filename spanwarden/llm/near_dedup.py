@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwarden.llm.textkernel import LOWER, chunks, mix, row_sums, word_hashes, words
-from spanwarden.llm.workers import tidy
+from spanwarden.llm.workers import small_batches, tidy
 from spanwarden.session import stored
 
 #: Bands and bins of a band: at similarity 0.8 a pair shares no band with probability 8e-6; at 0.2, where texts
@@ -263,10 +263,12 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
     names its component. Other columns are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    every = stored(set_table(texts, k, bands, rows), "near-sketches")
+    with small_batches(docs.sparkSession):
+        every = stored(set_table(texts, k, bands, rows), "near-sketches")
     classes = every.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
     reps = stored(classes.filter(F.col("node").isNotNull()), "near-classes")
-    found = near_links(texts, reps, k, percent)
+    with small_batches(docs.sparkSession):
+        found = near_links(texts, reps, k, percent)
     # an id with several texts ties its classes together
     ids = every.filter("n > 0 and id is not null").join(reps.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select("id", "node")
     ties = stored(ids.groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("id", "lo"), "near-ties")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwarden.llm.pieces import KEPT, encoder
-from spanwarden.llm.workers import trim
+from spanwarden.llm.workers import small_batches, trim
 from spanwarden.session import new_path
 
 HEAD = struct.Struct("<4sHBBIQQ")
@@ -123,8 +123,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str,
             payload = write_shard(keys, lengths, np.concatenate(held), bits)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([len(keys)]), pa.array([n]), pa.array([payload], pa.binary())], [x.split()[0] for x in SCHEMA.split(", ")])
 
-        # a slice of a batch at a time becomes Python strings
-        for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
+        for b in batches:
             for key, ids in zip(b.column(0).to_pylist(), enc.ids(b.column(1).to_pylist())):
                 keys.append(key)
                 lengths.append(len(ids) + 1)
@@ -139,7 +138,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str,
         del keys, lengths, held
         trim()
 
-    ordered.mapInArrow(encode, SCHEMA).write.parquet(path)
+    with small_batches(spark):
+        ordered.mapInArrow(encode, SCHEMA).write.parquet(path)
 
 
 def part_starts(spark: SparkSession, path: str) -> dict[int, int]:

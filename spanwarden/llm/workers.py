@@ -5,8 +5,10 @@ from __future__ import annotations
 import ctypes
 import functools
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 from spanwarden.llm.pieces import release
 
@@ -20,6 +22,18 @@ def trim() -> None:
         pass
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs started meanwhile send at most ``rows`` rows at once to Python: both sides hold whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``f`` for ``mapInArrow``: vocabularies of earlier stages go before it, free memory after it."""
 
