@@ -123,7 +123,7 @@ class PieceEncoder:
     def lengths(self, texts: list[str]) -> list[int]:
         """Numbers of ids of whole texts."""
         out: list[int] = []
-        for group in grouped(texts, GROUP_CHARS):
+        for group in grouped(texts, min(GROUP_CHARS, 4 * self.kept)):
             with uncollected():
                 split = [self.split(t) for t in group]
                 get = self._known(split, _length).__getitem__
@@ -132,7 +132,7 @@ class PieceEncoder:
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of whole texts, unsigned 32-bit."""
-        for group in grouped(texts, GROUP_CHARS):
+        for group in grouped(texts, min(GROUP_CHARS, 4 * self.kept)):
             with uncollected():
                 split = [self.split(t) for t in group]
                 get = self._known(split, bytes).__getitem__
