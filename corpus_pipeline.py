@@ -20,7 +20,7 @@ from spanwarden.session import stored, table
 
 
 #: Encoded pieces that a worker of the last stage keeps; executors hold what earlier stages left beside them.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 100_000
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
