@@ -52,7 +52,8 @@ def gate(rates: DataFrame, floors: DataFrame) -> DataFrame:
 
 def scanner_stats(scanned: DataFrame) -> DataFrame:
     """AG-05: rows and findings of each category."""
-    each = scanned.select(F.explode("findings").alias("f"), F.monotonically_increasing_id().alias("r"))
+    numbered = scanned.select("findings", F.monotonically_increasing_id().alias("r"))
+    each = numbered.select(F.explode("findings").alias("f"), "r")
     return each.groupBy(F.col("f.category").alias("category")).agg(F.count("*").alias("n_findings"), F.count_distinct("r").alias("n_rows"))
 
 

@@ -132,8 +132,10 @@ def collusion(state: dict, e: dict, name: str, agent: str, now: float) -> list[t
     except ValueError:
         args = {}
     target = next((args[k] for k in ("agent_id", "to", "recipient", "target") if isinstance(args, dict) and args.get(k)), None)
-    if name in MESSAGE_TOOLS and target and agent != "unknown":
-        pair = f"{agent}>{target}"
+    if name in MESSAGE_TOOLS and target and agent != "unknown" and agent != target:
+        pair = json.dumps([agent, target])
+        # pairs silent for the whole window are forgotten
+        state["pairs"] = {k: v for k, v in state["pairs"].items() if now - v[-1] <= 60}
         state["pairs"][pair] = [x for x in [*state["pairs"].get(pair, []), now] if now - x <= 60][-128:]
         if len(state["pairs"][pair]) > 10:
             found.append(("high_frequency_pair", 0.85))

@@ -233,3 +233,18 @@ def test_queries_match_sql(spark):
         assert sorted(rel.columns) == cols, name
         at = [rel.columns.index(c) for c in cols]
         assert sorted(tuple(flat(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(flat(r[i]) for i in at) for r in rel.fetchall()), name
+
+
+def test_registered_scanner_reaches_workers(spark, monkeypatch):
+    monkeypatch.setattr(scanners, "SCANNERS", dict(scanners.SCANNERS))
+    scanners.register("mine", lambda x: [scanners.finding("mine", "word", "found", 0, 3, 0.5, "abc", "")] if "abc" in x.text else [])
+    df = spark.createDataFrame([(1, "abc", "user"), (2, "xyz", "user"), (3, "abc " * 20_000, "user")], "id int, text string, source string")
+    got = {r["id"]: [f["category"] for f in r["findings"]] for r in scanners.detect(df, scanners=("mine",)).collect()}
+    assert got == {1: ["mine"], 2: [], 3: []}
+    wrong = scanners.detect(df, scanners=("absent",)).filter("id = 1").first()["findings"]
+    assert [f["subcategory"] for f in wrong] == ["scanner_error"]
+
+
+def test_scanner_stats_count_rows(spark):
+    df = spark.sql("select array(named_struct('category', 'a'), named_struct('category', 'a'), named_struct('category', 'b')) findings union all select array(named_struct('category', 'a'))")
+    assert {(r["category"], r["n_findings"], r["n_rows"]) for r in evaluate.scanner_stats(df).collect()} == {("a", 3, 2), ("b", 1, 1)}
