@@ -138,7 +138,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str,
         del keys, lengths, held
         trim()
 
-    with small_batches(spark):
+    with small_batches(spark, max(250, kept // 250)):
         ordered.mapInArrow(encode, SCHEMA).write.parquet(path)
 
 
