@@ -191,7 +191,8 @@ def q_span_merge(spark, d):
 def q_span_coverage(spark, d):
     """AG-04."""
     n = sp.covered(F.col("spans"))
-    return _made_spans(spark, d).select("doc_id", n.alias("n_covered"), F.least(F.lit(1.0), n / F.col("n_chars")).alias("coverage"))
+    # as in SQL, a text of no characters has no ratio, and least leaves a null out
+    return _made_spans(spark, d).filter("doc_id is not null").select("doc_id", n.alias("n_covered"), F.least(F.lit(1.0), F.try_divide(n, F.col("n_chars"))).alias("coverage"))
 
 
 @query("WITH x AS (SELECT doc_id, (doc_id * 37 % 100) / 100.0 AS d, (doc_id * 53 % 100) / 100.0 AS s, (doc_id * 71 % 100) / 100.0 AS h FROM documents) SELECT doc_id, CASE WHEN d >= 0.5 OR s >= 0.5 THEN 'block' WHEN d < 0.35 THEN 'allow' ELSE 'abstain' END AS band, CASE WHEN d >= 0.5 AND (s >= 0.5 OR d >= 0.9) THEN 'block' WHEN d < 0.35 AND NOT s >= 0.5 THEN 'allow' ELSE 'abstain' END AS gated, CASE WHEN s >= 0.5 THEN 'injection' WHEN h >= 0.7 THEN 'harmful_not_injection' WHEN d >= 0.45 THEN 'injection' ELSE 'benign' END AS label, CASE WHEN d < 0.3 AND d >= 0.0 THEN 'allow' WHEN d >= 0.8 THEN 'block' WHEN d >= 0.5 THEN 'redact' ELSE 'review' END AS act FROM x")

@@ -235,6 +235,16 @@ def test_queries_match_sql(spark):
         assert sorted(tuple(flat(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(flat(r[i]) for i in at) for r in rel.fetchall()), name
 
 
+def test_coverage_of_empty_texts(spark, tmp_path):
+    rows = [(0, "", 0), (1, "x" * 100, 100), (2, None, None), (3, "y", 1), (None, "z", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.sql(f"select doc_id, n_covered, coverage from ({plans.oracle_sql()['q_span_coverage']})").fetchall())
+    got = sorted(tuple(r) for r in plans.queries()["q_span_coverage"](spark, str(tmp_path)).collect())
+    assert [r[0] for r in got] == [0, 1, 2, 3] and got == want
+
+
 def test_registered_scanner_reaches_workers(spark, monkeypatch):
     monkeypatch.setattr(scanners, "SCANNERS", dict(scanners.SCANNERS))
     scanners.register("mine", lambda x: [scanners.finding("mine", "word", "found", 0, 3, 0.5, "abc", "")] if "abc" in x.text else [])
