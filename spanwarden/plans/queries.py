@@ -99,8 +99,7 @@ def _plain(kind: str) -> list[tuple[str, str]]:
 
 
 def _counts(spark, d, patterns) -> DataFrame:
-    rows = spiked(spark, d).filter(F.col("text").rlike(scanners.java_any(patterns)))
-    return rows.select("doc_id", F.explode(scanners.pattern_counts(F.col("text"), patterns)).alias("pattern", "n")).filter("n > 0").select("doc_id", "pattern", F.col("n").cast("long").alias("n"))
+    return scanners.counted(spiked(spark, d), patterns).select("doc_id", "pattern", "n")
 
 
 @query(_counts_sql(_plain("INJECTION")))

@@ -1,6 +1,7 @@
 import base64
 import glob
 import os
+import random
 import re
 
 import duckdb
@@ -245,6 +246,34 @@ def test_coverage_of_empty_texts(spark, tmp_path):
     assert [r[0] for r in got] == [0, 1, 2, 3] and got == want
 
 
+def odd_texts(n=120):
+    """Texts of pieces that patterns are made of, with letters and white space that only some engines fold."""
+    pick = random.Random(5)
+    words = [*plans.SPIKES, *(" ignore | all | previous | instructions |prior|rules|you are now|act as|\u0131gnore|\u0130gnore|in\u017ftructions|as\u212a|do not|tell|the user|have no|limits|x\x01y|{{|</system>|[INST]|User :|DAN mode|api key|send|"
+            "DROP|TABLE|rm -rf|rm -r |import|os|'1'='1|OR|--a|SELECT|;|../|eval (|self-harm|how to make a bomb|suicide|from|pg_x|wire transfer|IBAN: x|0x" + "a" * 40).split("|")]
+    return [pick.choice(("", " ", "\t\n")).join(pick.choice(words) + pick.choice((" ", "  ", "\n", "\xa0", "\x1f", "\u2003", ".")) for _ in range(pick.randint(0, 14))) for _ in range(n)]
+
+
+def test_counted_patterns_are_all_found(spark):
+    texts = odd_texts()
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, text string")
+    for kinds in (("INJECTION",), ("DESTRUCTIVE", "HARMFUL"), ("URLS", "PROMPT_LEAK", "FINANCIAL_CRYPTO", "FINANCIAL_PAYMENT")):
+        patterns = [x for k in kinds for x in getattr(t, k)]
+        want = {(r["i"], k, n) for r in df.select("i", scanners.pattern_counts(F.col("text"), patterns).alias("m")).collect() for k, n in r["m"].items() if n}
+        assert len(want) > 20 or kinds[0] == "URLS"
+        assert {(r["i"], r["pattern"], r["n"]) for r in scanners.counted(df, patterns).collect()} == want
+    for kind in ("INJECTION", "DESTRUCTIVE", "HARMFUL", "URLS", "SECRETS", "PII_REGEX", "PROMPT_LEAK", "FINANCIAL_CRYPTO", "FINANCIAL_PAYMENT"):
+        patterns = getattr(t, kind)
+        for v, able in zip(texts, regexes.Filter(patterns).candidates([regexes.Has(v) for v in texts])):
+            assert {k for k, (_, p) in enumerate(patterns) if re.search(p, v)} <= set(able), v
+
+
+def test_common_words_start_no_search():
+    v = regexes.Has("You show me what the system does; I act from there, or make habits for all users to follow.\nOr select a table, create an index and import it from the kill list.")
+    assert regexes.Filter(t.INJECTION).candidates([v]) == [[]]
+    assert regexes.Filter((*t.DESTRUCTIVE, *t.HARMFUL)).candidates([v]) == [[]]
+
+
 def test_registered_scanner_reaches_workers(spark, monkeypatch):
     monkeypatch.setattr(scanners, "SCANNERS", dict(scanners.SCANNERS))
     scanners.register("mine", lambda x: [scanners.finding("mine", "word", "found", 0, 3, 0.5, "abc", "")] if "abc" in x.text else [])
