@@ -72,9 +72,13 @@ def folded(text: str) -> str:
 class Has(dict):
     """Whether strings are in the folded form of a text; each is looked for once."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, form: str | None = None):
         super().__init__()
-        self.raw, self.text = text, folded(text)
+        self.raw, self.text = text, folded(text) if form is None else form
+
+    def turned(self) -> Has:
+        """For the reversed text; characters outside ASCII may fold to several, which have an order."""
+        return Has(self.raw[::-1], self.text[::-1] if self.raw.isascii() else None)
 
     def __missing__(self, word: str) -> bool:
         self[word] = found = word in self.text
@@ -174,7 +178,7 @@ class Filter:
     those patterns' ``needs`` looked at.
     """
 
-    def __init__(self, patterns: Iterable[tuple[str, str]], at_once: int = 8):
+    def __init__(self, patterns: Iterable[tuple[str, str]], at_once: int = 4):
         patterns = [p for _, p in patterns]
         self.needs = [needs(p) for p in patterns]
         self.classes = [(k, re.compile(p)) for k, p in enumerate(patterns) if _plain_class(p)]
@@ -183,9 +187,18 @@ class Filter:
         self.groups = [some[i : i + at_once] for i in range(0, len(some), at_once)]
         self.sought = ["|".join(re.escape(w) for w in sorted(set().union(*(_rarest(self.needs[k]) for k in g)))) for g in self.groups]
 
+    def of_one(self, has: Has) -> list[int]:
+        plain = dict(self.classes)
+        return [k for k, x in enumerate(self.needs) if (plain[k].search(has.raw) if k in plain else possible(x, has))]
+
     def candidates(self, has: list[Has]) -> list[list[int]]:
         """For each text, given as :class:`Has`, the patterns that can match it, in order."""
-        out = [self.always + [k for k, p in self.classes if p.search(x.raw)] for x in has]
+        out = [list(self.always) for _ in has]
+        if self.classes:
+            raw = pa.array([x.raw for x in has], pa.large_string())
+            for k, p in self.classes:
+                for i in pc.indices_nonzero(pc.match_substring_regex(raw, p.pattern)).to_pylist():
+                    out[i].append(k)
         texts = pa.array([x.text for x in has], pa.large_string())
         for group, sought in zip(self.groups, self.sought):
             found = pc.indices_nonzero(pc.match_substring_regex(texts, sought))

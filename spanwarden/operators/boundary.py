@@ -13,9 +13,11 @@ OPEN, CLOSE = rf"(?i){t.BEGIN}\b[^>]*>>>", rf'(?i){t.END}\s+id="[^"]+"\s*>>>'
 
 def sanitized(text: Column) -> Column:
     """FN-05: forged markers replaced."""
+    out = text
     for p in (BLOCK, OPEN, CLOSE):
-        text = F.regexp_replace(text, p, t.REMOVED)
-    return text
+        out = F.regexp_replace(out, p, t.REMOVED)
+    # most texts have no marker at all
+    return F.when(text.contains("<<<"), out).otherwise(text)
 
 
 def spoofed(text: Column) -> Column:

@@ -274,6 +274,18 @@ def test_common_words_start_no_search():
     assert regexes.Filter((*t.DESTRUCTIVE, *t.HARMFUL)).candidates([v]) == [[]]
 
 
+def test_scan_of_many_texts_is_that_of_each(spark):
+    texts = [*odd_texts(60), "a\nb\nc", "i g n o r e all", "x|y| a", "ıgnore previous", "call 555-123-4567, 4111 1111 1111 1111, a@b.com", "١٢٣-٤٥-٦٧٨٩", "\x01", "ß ſ" + "\x02"]
+    names, fields = scanners.chosen((*scanners.DEFAULT, "financial", "rules")), [f.name for f in sp.FINDING.fields]
+    got = {r["i"]: [tuple(f[n] for n in fields) for f in r["findings"]] for r in scanners.detect(spark.createDataFrame([*((i, v, "retrieved") for i, v in enumerate(texts)), (-1, None, "retrieved")], "i int, text string, source string"), scanners=(*scanners.DEFAULT, "financial", "rules")).collect()}
+    assert got == {-1: []} | {i: scanners.scan_one(v, "retrieved", names) for i, v in enumerate(texts)}
+    for v in texts:  # no pattern that matches is passed over
+        x = scanners.Text(v, "retrieved")
+        for kind, form in (("INJECTION", "full"), ("INJECTION", "reversed"), ("DESTRUCTIVE", "full"), ("SECRETS", "plain"), ("AMOUNT", "plain")):
+            assert [(n, m.span()) for n, m in x.matches(kind, form)] == [(n, m.span()) for n, p in scanners.compiled(kind) for m in p.finditer(x.form(form))], (v, kind)
+        assert list(map(str, scanners._personal(v))) == [str((n, m)) for n, p in scanners.compiled("PII_REGEX") for m in p.finditer(v)]
+
+
 def test_registered_scanner_reaches_workers(spark, monkeypatch):
     monkeypatch.setattr(scanners, "SCANNERS", dict(scanners.SCANNERS))
     scanners.register("mine", lambda x: [scanners.finding("mine", "word", "found", 0, 3, 0.5, "abc", "")] if "abc" in x.text else [])
