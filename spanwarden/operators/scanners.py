@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -360,9 +359,15 @@ def blobs(text: str, most: int = 5) -> list[tuple[int, int, str]]:
 def payloads(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with payloads: start, end and plain of all that ``blobs`` finds, not only the first few."""
 
-    @F.pandas_udf("array<struct<start: int, end: int, plain: string>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("start", "end", "plain"), x)) for x in blobs(v or "", len(v or ""))] for v in texts])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("plain", pa.string())]))
+
+    def one(text: str) -> list[dict]:
+        return [dict(zip(("start", "end", "plain"), x)) for x in blobs(text, len(text))]
+
+    @F.arrow_udf("array<struct<start: int, end: int, plain: string>>")
+    def found(texts: pa.Array) -> pa.Array:
+        # a text leaves Arrow by itself, so a worker holds one as a Python object, not a batch of them
+        return pa.array((one(v.as_py() or "") for v in texts), kind)
 
     return df.withColumn("payloads", found(F.col(text_col)))
 

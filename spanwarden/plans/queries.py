@@ -160,7 +160,9 @@ def q_base64_payloads(spark, d):
 def q_encoded_payloads(spark, d):
     """EN-01, NM-03: every payload of every row. No SQL: whether a run is a payload is decided in Python."""
     # for explode, Spark infers a filter on the array and runs the search twice
-    found = scanners.payloads(spiked(spark, d)).select("doc_id", F.explode_outer("payloads").alias("x")).filter("x is not null")
+    # texts without a run of that length stay in the JVM
+    rows = spiked(spark, d).filter(F.col("text").rlike(f"[A-Za-z0-9+/]{{{scanners.nm.SHORTEST_BLOB}}}"))
+    found = scanners.payloads(rows).select("doc_id", F.explode_outer("payloads").alias("x")).filter("x is not null")
     return found.select("doc_id", "x.start", "x.end", "x.plain")
 
 

@@ -95,6 +95,15 @@ def test_payloads_of_all_rows(spark, tmp_path):
     assert got == sorted(want) and [x[0] for x in got] == [0] + [1] * 8 + [3] * 2 + [7] * 2
 
 
+def test_payload_search_gets_no_other_texts(spark, tmp_path):
+    long = "word " * 20_000
+    spark.createDataFrame([(11, long), (23, long + "A" * 19), (35, long + base64.b64encode(b"meet at the old pier").decode())], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = plans.queries()["q_encoded_payloads"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("RLIKE")  # the filter lies below the search
+    assert [tuple(r) for r in df.collect()] == [(35, 100_000, 100_028, "meet at the old pier")]
+
+
 def test_failing_scanner_blocks():
     scanners.register("broken", lambda x: 1 / 0)
     assert ("broken", "scanner_error") in found("x", "user", ("broken",))
