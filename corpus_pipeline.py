@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns rows with the columns of documents,
 but the last, which returns a row for each document written. Stages write their result
-to the shared folder, and the next one reads it.
+to the shared folder, and the next one reads it. Executors give the memory of the stage
+before back when one begins.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from spanwarden.llm.near_dedup import near_dedup
 from spanwarden.llm.queries import word_tokenizer
 from spanwarden.llm.token_output import token_output
 from spanwarden.llm.toxicity import without_toxic
+from spanwarden.llm.workers import settle
 from spanwarden.session import stored, table
 
 
@@ -25,6 +27,7 @@ KEPT_PIECES = 100_000
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.3."""
+    settle(spark)
     return without_toxic(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
@@ -42,6 +45,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     without one is judged by ``row_key``: it goes where its group has a doc_id, and of a
     group without any one row stays. Such rows without words are in no group, and all stay.
     """
+    settle(spark)
     keyed = docs.withColumn("_key", row_key())
     found = stored(near_dedup(keyed, k=5, percent=80, id_col="_key").select(F.col("_key").alias("_id"), "kept", "n_shingles"), "pipeline-kept")
     gone = stored(found.filter(~F.col("kept")).select("_id").distinct(), "pipeline-gone")
@@ -56,6 +60,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, with a doc_id or not, that hold less than 0.8 of the shingles of every benchmark item."""
+    settle(spark)
     keyed = docs.withColumn("_key", row_key())
     hits = contaminated(keyed, table(spark, sf_dir, "benchmark"), k=5, containment=0.8, id_col="_key")
     gone = stored(hits.select(F.col("_key").alias("_id")).distinct(), "pipeline-gone")
@@ -68,6 +73,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows that repeat a doc_id are taken as often as the most taken of them, as are rows
     without one that agree in text and source.
     """
+    settle(spark)
     keyed = docs.withColumn("_key", row_key())
     times = stored(mix(keyed, id_col="_key").filter("times > 0").groupBy(F.col("_key").alias("_id")).agg(F.max("times").cast("int").alias("_times")), "pipeline-times")
     chosen = keyed.join(bounded(times), F.col("_key") == F.col("_id"))
@@ -76,6 +82,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_output_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes token shards and reads them back: a row for each document."""
+    settle(spark)
     return token_output(docs, word_tokenizer(), end_id=1, kept=KEPT_PIECES)
 
 

@@ -1,4 +1,4 @@
-"""Memory of Python workers: a worker outlives its stage and keeps what its allocators hold."""
+"""Memory of executors: their heaps and their Python workers outlive a stage, and keep what it made them hold."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from spanwarden.llm.pieces import release
 
@@ -22,6 +23,16 @@ def trim() -> None:
         pass
 
 
+def settle(spark: SparkSession) -> None:
+    """Executors collect their garbage, after which their heaps shrink to a few times what is in use.
+
+    A heap that one stage made grow may stay so otherwise, beside the next one's workers. A task for
+    each core reaches every executor that is idle; one that it misses only keeps its memory.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Jobs started meanwhile send at most ``rows`` rows at once to Python: both sides hold whole batches."""

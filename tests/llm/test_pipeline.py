@@ -64,3 +64,15 @@ def test_rows_without_an_id(spark, tmp_path):
     three = stored(cp.mixing_stage(spark, two, str(tmp_path)), "test-mix")
     assert three.columns == docs.columns and set(texts(three)) == {(1, a), (0, "b"), (0, c)} and 4 <= three.count() <= 5
     assert cp.token_output_stage(spark, three, str(tmp_path)).count() == three.count()
+
+
+def test_stages_give_memory_back(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c d e f g h", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "q r s t u v w")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = next(b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    for name, stage in cp.STAGES:
+        before = whole.getCollectionCount()
+        stage(spark, docs, str(tmp_path))
+        assert whole.getCollectionCount() > before, name
